@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import ann, decontaminate, langid, mixing, quality, sharding, tokencount
 from .common import crc32_mod, table
 
+#: A public SentencePiece vocabulary on the driver; its content is broadcast.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,5 +30,65 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op2_language_id": op2_language_id, "op4_quality": op4_quality}
-ORACLES: dict[str, str] = {}
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automata = decontaminate.build(table(spark, sf_dir, "benchmark"))
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), automata)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return marked.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+#: Words, windows and their occurrences by joins; the same contract by a different way.
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, m, list_slice(w, i, i + m - 1) AS win
+  FROM (SELECT item_id, w, least(len(w), 13) AS m, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM windows),
+places AS (
+  SELECT doc_id, m, i, list_slice(w, i, i + m - 1) AS win
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, sizes WHERE len(w) >= m)),
+hits AS (SELECT p.doc_id, p.i, p.m, x.item_id FROM places p JOIN windows x ON p.m = x.m AND p.win = x.win),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS j FROM hits) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    with open(model_path, "rb") as f:
+        model = tokencount.Unigram.read(f.read())
+    return tokencount.count(table(spark, sf_dir, "documents"), model)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_neighbours, op2_language_id, op3_decontamination, op4_quality, op6_sharding, op9_mixing, op10_token_counts,
+    )
+}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
