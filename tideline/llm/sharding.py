@@ -3,15 +3,17 @@
 1. Keys are hashes of the texts, so copies lie together and any order of the input gives the same keys.
    A sample of keys, each as likely as its record is large (and bounded in number), gives quantile
    boundaries for `shards x fine` ranges.
-2. The exact bytes of every range are counted. An overfull range (a large group of copies, or chance)
-   is subdivided by a second hash, which takes in the id.
+2. The exact bytes of every range are counted. An overfull range is subdivided: a group of copies above
+   its share of bytes by a hash that takes in the id, what else is in the range by another hash of the
+   texts.
 3. Consecutive ranges are put into shards by the running sum of bytes, and a record's slot is its
    range's first slot plus its number in the range. Only ids, sizes and checksums are shuffled; each
    task numbers one range, a small part of a shard.
 
 Defined results: null texts have size 1 and checksum null; null and repeated ids are records like
 all others; an empty table gives an empty result; extra columns are ignored. Records that agree in
-all that is returned may swap slots. Copies share a shard except where one would be overfull.
+all that is returned may swap slots. Copies share a shard unless their group has more bytes than one
+of the `shards x fine` ranges should.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def shard(docs: DataFrame, *, shards: int = 16, fine: int = 64, sample: int = 20
     keys = checkpoint(rows.select("id", "size", "crc", "key"))  # the texts are read once; with `carry`, once more at the end
     total = keys.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("most")).first()
     if not total.n:
-        bounds, parts = [], {}
+        bounds = []
     else:
         # A record is drawn with a chance in proportion to its size; the draw follows from its key and id.
         chance = F.col("size") * (sample / 2) / float(total.bytes)
@@ -58,9 +60,24 @@ def shard(docs: DataFrame, *, shards: int = 16, fine: int = 64, sample: int = 20
     limits = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     keys = keys.withColumn("range", _place(limits, len(bounds), F.col("key")))
     weights = keys.groupBy("range").agg(F.sum("size").alias("bytes")).collect()  # at most shards x fine rows
-    parts = {r.range: int(np.ceil(r.bytes / target)) for r in weights if r.bytes > slack * target}
-    cut = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]) if parts else None
-    within = F.pmod(F.xxhash64("id", "key", F.lit(seed + 2)), F.coalesce(cut[F.col("range")], F.lit(1))).cast("int") if parts else F.lit(0)
+    over = {r.range: r.bytes for r in weights if r.bytes > slack * target}
+    # A key above its share is cut by ids; what else is in an overfull range is cut by key, so that copies stay together.
+    hot = keys.where(F.col("range").isin(*over)).groupBy("range", "key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).collect() if over else []  # at most shards x fine rows
+    hot.sort(key=lambda r: (r.range, r.key))
+    rest = {r: n - sum(h.bytes for h in hot if h.range == r) for r, n in over.items()}
+    parts = {r: max(1, int(np.ceil(n / target))) for r, n in rest.items()}
+    within = F.lit(0)
+    if over:
+        by_range = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
+        within = F.pmod(F.xxhash64("key", F.lit(seed + 2)), F.coalesce(by_range[F.col("range")], F.lit(1))).cast("int")
+    if hot:
+        pieces, first = {}, dict(parts)
+        for h in hot:
+            n = int(np.ceil(h.bytes / target))
+            pieces[h.key] = (first[h.range], n)
+            first[h.range] += n
+        start, many = (F.create_map(*[F.lit(x) for k, v in pieces.items() for x in (int(k), v[i])])[F.col("key")] for i in (0, 1))
+        within = F.coalesce((start + F.pmod(F.xxhash64("id", "key", F.lit(seed + 3)), many)).cast("int"), within)
     cells = keys.withColumn("part", within).groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # at most shards x fine x 2 rows
     cells.sort(key=lambda r: (r.range, r.part))
     seen, filled, table = 0, [0] * shards, []
