@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, neardup, quality, sharding, tokencount
+from . import ann, decontaminate, langid, linededup, mixing, neardup, quality, sharding, tokencount
 from .common import crc32_mod, table
 
 #: A public SentencePiece vocabulary on the driver; its content is broadcast.
@@ -71,6 +71,10 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -92,7 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str = MODEL)
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_neighbours, op2_language_id, op3_decontamination, op4_quality, op6_sharding, op7_near_duplicates, op9_mixing, op10_token_counts,
+        op1_neighbours, op2_language_id, op3_decontamination, op4_quality, op5_line_dedup, op6_sharding, op7_near_duplicates, op9_mixing, op10_token_counts,
     )
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
