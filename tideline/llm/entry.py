@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, mixing, neardup, quality, sharding, tokencount
+from . import ann, decontaminate, langid, linededup, mixing, neardup, quality, secrets, sharding, tokencount
 from .common import crc32_mod, table
 
 #: A public SentencePiece vocabulary on the driver; its content is broadcast.
@@ -83,6 +83,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str = MODEL)
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_neighbours, op2_language_id, op3_decontamination, op4_quality, op5_line_dedup, op6_sharding, op7_near_duplicates, op9_mixing, op10_token_counts,
+        op1_neighbours, op2_language_id, op3_decontamination, op4_quality, op5_line_dedup, op6_sharding, op7_near_duplicates, op8_secret_scan, op9_mixing, op10_token_counts,
     )
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
