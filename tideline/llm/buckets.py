@@ -1,8 +1,8 @@
 """Connected components of similar nodes that share buckets, without all pairs of a bucket.
 
-In each bucket every node is compared with the bucket's least node. Those that fail, and whose
-component is still another, are then compared with all the bucket's nodes of other components. Thus
-any two nodes of a bucket are either compared or known to be connected. Components come from
+In each bucket every node is compared with the bucket's lead. Those that fail, and whose component is
+still another, are then compared with the bucket's nodes of other components, as far as these can be
+similar at all. Thus any two similar nodes of a bucket are compared or known to be connected. Components come from
 distributed contraction, checkpointed each round; nothing but emptiness comes to the driver.
 """
 
@@ -42,13 +42,18 @@ def components(edges: DataFrame) -> DataFrame:
         links = checkpoint(links.where("x != y").distinct())
 
 
-def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root of the nodes that are similar to others. members: key, node, each pair once.
+def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, root of the nodes that are similar to others. members: key, node, rank, each (key, node) once.
 
-    similar: from pairs (a, b) of nodes the same with a column `similar`, checkpointed.
+    rank: a bucket's lead is its node of least rank, best one that many others are like. similar: from
+    pairs (a, b) of nodes the same with a column `similar`, checkpointed. prefixes: from nodes (node)
+    rows (node, token, rest, total) of weighted sets in one global order of tokens, rest being the
+    weight from a token on; only tokens with rest >= least x total. Two sets with a Jaccard similarity
+    of `least` have their first common token among those, and overlap by at most the smaller rest
+    there; pairs that fall short are not made.
     """
-    least = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    star = checkpoint(members.join(least.select("key", "lead"), "key"))
+    lead = members.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    star = checkpoint(members.join(lead.select("key", F.col("lead.node").alias("lead")), "key").select("key", "node", "lead"))
     first = similar(star.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     edges = first.where("similar").select("a", "b")
     roots = components(edges)
@@ -63,7 +68,16 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> Dat
     if failed.isEmpty():
         return roots
     others = star.join(failed.select("key").distinct(), "key", "left_semi").where("node != lead")
-    others = rooted(others.select("key", F.col("node").alias("x")), "x", "its")
-    pairs = failed.join(others, "key").where("own != its").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    others = checkpoint(rooted(others.select("key", F.col("node").alias("x")), "x", "its"))
+    if prefixes is None:
+        pairs = failed.join(others, "key").where("own != its")
+    else:
+        tokens = checkpoint(prefixes(others.select(F.col("x").alias("node")).distinct()))
+        of = lambda df, c: df.join(tokens.withColumnsRenamed({"node": c, "rest": f"{c}_rest", "total": f"{c}_total"}), c)
+        enough = F.least("x_rest", "y_rest") >= least / (1 + least) * (F.col("x_total") + F.col("y_total")) - 1e-9
+        l, r = of(failed, "y").alias("l"), of(others, "x").alias("r")
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.token") == F.col("r.token"))
+        pairs = l.join(r, same & (F.col("own") != F.col("its")) & enough)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = similar(checkpoint(pairs)).where("similar").select("a", "b")
     return components(checkpoint(edges.union(more)))
