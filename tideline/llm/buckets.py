@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -42,9 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         links = checkpoint(links.where("x != y").distinct())
 
 
-def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """node, root of the nodes that are similar to others. members: key, node, rank, each (key, node) once.
 
+    near: a cheap condition that similar nodes meet, on their column `mark` of members.
+
     rank: a bucket's lead is its node of least rank, best one that many others are like. similar: from
     pairs (a, b) of nodes the same with a column `similar`, checkpointed. prefixes: from nodes (node)
     rows (node, token, rest, total) of weighted sets in one global order of tokens, rest being the
@@ -52,9 +54,12 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least:
     of `least` have their first common token among those, and overlap by at most the smaller rest
     there; pairs that fall short are not made.
     """
-    lead = members.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    star = checkpoint(members.join(lead.select("key", F.col("lead.node").alias("lead")), "key").select("key", "node", "lead"))
-    first = similar(star.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    members = members if near else members.withColumn("mark", F.lit(None).cast("int"))
+    near = near or (lambda a, b: F.lit(True))
+    lead = members.groupBy("key").agg(F.min(F.struct("rank", "node", "mark")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    star = members.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.mark").alias("lead_mark")), "key")
+    star = checkpoint(star.select("key", "node", "mark", "lead", near(F.col("mark"), F.col("lead_mark")).alias("near")))
+    first = similar(star.where("node != lead and near").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     edges = first.where("similar").select("a", "b")
     roots = components(edges)
 
@@ -62,15 +67,15 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least:
         r = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return df.join(r, F.col(col) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", col)).drop("_n", "_r")
 
-    failed = star.join(first.where("not similar").select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"])
+    failed = star.where("node != lead").join(edges.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti")
     failed = rooted(rooted(failed, "node", "own"), "lead", "led").where("own != led")
-    failed = checkpoint(failed.select("key", F.col("node").alias("y"), "own"))
+    failed = checkpoint(failed.select("key", F.col("node").alias("y"), F.col("mark").alias("y_mark"), "own"))
     if failed.isEmpty():
         return roots
     others = star.join(failed.select("key").distinct(), "key", "left_semi").where("node != lead")
-    others = checkpoint(rooted(others.select("key", F.col("node").alias("x")), "x", "its"))
+    others = checkpoint(rooted(others.select("key", F.col("node").alias("x"), F.col("mark").alias("x_mark")), "x", "its"))
     if prefixes is None:
-        pairs = failed.join(others, "key").where("own != its")
+        pairs = failed.alias("l").join(others.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("own") != F.col("its")) & near(F.col("x_mark"), F.col("y_mark")))
     else:
         tokens = checkpoint(prefixes(others.select(F.col("x").alias("node")).distinct()))
         of = lambda df, c: df.join(tokens.withColumnsRenamed({"node": c, "rest": f"{c}_rest", "total": f"{c}_total"}), c)
