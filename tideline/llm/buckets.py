@@ -43,21 +43,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """node, root of the nodes that are similar to others. members: key, node, rank, each (key, node) once.
+    """node, root of the nodes that are similar to others. members: key, node, each (key, node) once.
 
     near: a cheap condition that similar nodes meet, on their column `mark` of members.
 
-    rank: a bucket's lead is its node of least rank, best one that many others are like. similar: from
-    pairs (a, b) of nodes the same with a column `similar`, checkpointed. prefixes: from nodes (node)
-    rows (node, token, rest, total) of weighted sets in one global order of tokens, rest being the
-    weight from a token on; only tokens with rest >= least x total. Two sets with a Jaccard similarity
+    similar: from pairs (a, b) of nodes the same with a column `similar`, checkpointed. prefixes: from
+    nodes (node) rows (node, token, before, rest, total) of weighted sets in one global order of tokens, rest being the
+    weight from a token on and `before` the few tokens just before it; only tokens with rest >= least x total. Two sets with a Jaccard similarity
     of `least` have their first common token among those, and overlap by at most the smaller rest
-    there; pairs that fall short are not made.
+    there; pairs that fall short are not made. Tokens with a common one among those just before are not
+    the first, so a pair is made once for each run of common tokens at most.
     """
     members = members if near else members.withColumn("mark", F.lit(None).cast("int"))
     near = near or (lambda a, b: F.lit(True))
-    lead = members.groupBy("key").agg(F.min(F.struct("rank", "node", "mark")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    star = members.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.mark").alias("lead_mark")), "key")
+    # What many are like lies in large buckets under most of its keys; such a node leads.
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpoint(members.join(sizes, "key").select("key", "node", "mark", "n"))
+    rank = shared.groupBy("node").agg((-F.sum(F.log("n"))).alias("rank"))
+    shared = checkpoint(shared.join(rank, "node").select("key", "node", "mark", "rank"))
+    lead = shared.groupBy("key").agg(F.min(F.struct("rank", "node", "mark")).alias("lead"))
+    star = shared.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.mark").alias("lead_mark")), "key")
     star = checkpoint(star.select("key", "node", "mark", "lead", near(F.col("mark"), F.col("lead_mark")).alias("near")))
     first = similar(star.where("node != lead and near").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     edges = first.where("similar").select("a", "b")
@@ -78,11 +83,11 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least:
         pairs = failed.alias("l").join(others.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("own") != F.col("its")) & near(F.col("x_mark"), F.col("y_mark")))
     else:
         tokens = checkpoint(prefixes(others.select(F.col("x").alias("node")).distinct()))
-        of = lambda df, c: df.join(tokens.withColumnsRenamed({"node": c, "rest": f"{c}_rest", "total": f"{c}_total"}), c)
+        of = lambda df, c: df.join(tokens.withColumnsRenamed({"node": c, "before": f"{c}_before", "rest": f"{c}_rest", "total": f"{c}_total"}), c)
         enough = F.least("x_rest", "y_rest") >= least / (1 + least) * (F.col("x_total") + F.col("y_total")) - 1e-9
         l, r = of(failed, "y").alias("l"), of(others, "x").alias("r")
         same = (F.col("l.key") == F.col("r.key")) & (F.col("l.token") == F.col("r.token"))
-        pairs = l.join(r, same & (F.col("own") != F.col("its")) & enough)
+        pairs = l.join(r, same & (F.col("own") != F.col("its")) & enough & ~F.arrays_overlap("x_before", "y_before"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = similar(checkpoint(pairs)).where("similar").select("a", "b")
     return components(checkpoint(edges.union(more)))
