@@ -42,10 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
         links = checkpoint(links.where("x != y").distinct())
 
 
-def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least: float | None = None, prefixes: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[Column, Column], Column] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """node, root of the nodes that are similar to others. members: key, node, each (key, node) once.
 
-    near: a cheap condition that similar nodes meet, on their column `mark` of members.
+    near: a cheap condition that similar nodes meet, on their column `mark` of `marks` (node, mark).
 
     similar: from pairs (a, b) of nodes the same with a column `similar`, checkpointed. prefixes: from
     nodes (node) rows (node, token, before, rest, total) of weighted sets in one global order of tokens, rest being the
@@ -54,12 +54,12 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame], least:
     there; pairs that fall short are not made. Tokens with a common one among those just before are not
     the first, so a pair is made once for each run of common tokens at most.
     """
-    members = members if near else members.withColumn("mark", F.lit(None).cast("int"))
     near = near or (lambda a, b: F.lit(True))
     # What many are like lies in large buckets under most of its keys; such a node leads.
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpoint(members.join(sizes, "key").select("key", "node", "mark", "n"))
+    shared = checkpoint(members.select("key", "node").join(sizes, "key"))
     rank = shared.groupBy("node").agg((-F.sum(F.log("n"))).alias("rank"))
+    rank = rank.join(marks, "node") if marks else rank.withColumn("mark", F.lit(None).cast("int"))
     shared = checkpoint(shared.join(rank, "node").select("key", "node", "mark", "rank"))
     lead = shared.groupBy("key").agg(F.min(F.struct("rank", "node", "mark")).alias("lead"))
     star = shared.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.mark").alias("lead_mark")), "key")
