@@ -44,6 +44,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bitmap(numbers: DataFrame, bits: int = 25) -> np.ndarray:
+    """2^bits places as 64-bit words, with those of the low bits of a column of longs set.
+
+    Its size does not depend on the rows; it lets a pass over a table leave out most of what no other
+    table asks for, before anything is shuffled.
+    """
+    low = numbers[numbers.columns[0]].bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+    words = numbers.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(bit).alias("m")).toPandas()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return out
+
+
+def in_bitmap(have: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = numbers & (64 * len(have) - 1)
+    return (have[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def chunks(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of consecutive items that together hold at most `most` units, or a single larger item."""
     start, held, i = 0, 0, -1
