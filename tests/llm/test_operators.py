@@ -185,6 +185,21 @@ def test_lines(spark):
     assert linededup.removed(docs.limit(0)).count() == 0
 
 
+def test_lines_that_share_a_key_are_compared_however_many_bits_differ(spark):
+    rng = random.Random(11)
+    masks = [((1 << (64 * (i + 1) // 6 - 64 * i // 6)) - 1) << 64 * i // 6 for i in range(6)]
+    pairs = []
+    while len(pairs) < 4:
+        *w, other = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(25)]
+        lines = [" ".join(w), " ".join([*w[:12], other, *w[13:]])]
+        a, b = (int(x) for x in linededup.simhashes([linededup.normalised(x) for x in lines]).view(np.uint64))
+        if (a ^ b).bit_count() > 3 and sum(not (a ^ b) & m for m in masks) >= 3:
+            pairs.append(lines)
+    rows = [(2 * i + j, x, "en", "s") for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = {r.doc_id: list(r.removed) for r in linededup.removed(table(spark, rows)).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(8)}
+
+
 def test_pigeonhole_keys(spark):
     rng = random.Random(4)
     a = rng.getrandbits(64)
