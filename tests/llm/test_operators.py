@@ -192,7 +192,7 @@ def test_lines_that_share_a_key_are_compared_however_many_bits_differ(spark):
     while len(pairs) < 4:
         *w, other = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(25)]
         lines = [" ".join(w), " ".join([*w[:12], other, *w[13:]])]
-        a, b = (int(x) for x in linededup.simhashes([linededup.normalised(x) for x in lines]).view(np.uint64))
+        a, b = (int(x) for x in linededup.word_simhashes([linededup.normalised(x) for x in lines]).view(np.uint64))
         if (a ^ b).bit_count() > 3 and sum(not (a ^ b) & m for m in masks) >= 3:
             pairs.append(lines)
     rows = [(2 * i + j, x, "en", "s") for i, p in enumerate(pairs) for j, x in enumerate(p)]
@@ -200,6 +200,18 @@ def test_lines_that_share_a_key_are_compared_however_many_bits_differ(spark):
     assert got == {i: [0] if i % 2 else [] for i in range(8)}
 
 
+def test_lines_with_one_changed_word_are_found(spark):
+    rng = random.Random(12)
+    lines = []
+    for n in [*range(14, 50)] * 2:
+        w = ["".join(rng.choices("etaoinshrdlucmfwyp", k=rng.randrange(3, 10))) for _ in range(n)]
+        i = rng.randrange(n)
+        lines += [" ".join(w), " ".join([*w[:i], "".join(rng.choices("etaoinshrdlucmfwyp", k=len(w[i]))), *w[i + 1 :]])]
+    got = {r.doc_id: r.n_removed for r in linededup.removed(table(spark, [(i, x, "en", "s") for i, x in enumerate(lines)])).collect()}
+    assert not any(got[i] for i in range(0, len(lines), 2))  # brute force: each odd line is similar to the one before, to no other
+    assert sum(got[i] for i in range(1, len(lines), 2)) >= 0.9 * len(lines) / 2
+
+
 def test_pigeonhole_keys(spark):
     rng = random.Random(4)
     a = rng.getrandbits(64)
