@@ -311,6 +311,17 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0), forest).count() == 0
 
 
+def test_secret_candidates_of_each_place_and_sign(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3"
+    texts = [f"{key},{key}", f"token={key},key={key}", "password => hunter22", "password =hunter22", "password=>hunter22", 'a "pwd":"hunter22","pwd":"hunter22"', "password := hunter22", f"see {key} there"]
+    docs = table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {}
+    for r in secrets.candidates(docs).collect():
+        got.setdefault(r.id, []).append(r.finding)
+    assert got[0] == [key, key] and got[7] == [key] and got[1].count(key) == 2
+    assert got[2] == got[3] == got[6] == ["hunter22"] and got[4] == ["hunter22"] and got[5] == ["hunter22"] * 2
+
+
 # 9
 
 

@@ -209,16 +209,34 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     words = F.split("of", r"\s+")
     lines = lines.withColumn("words", words)
     run = rf"(?=[^\s]*[0-9])({RUN})"
-    value = rf"(?i)(?:{NAMES})[\"']?[:=][\"']?([^\s\"',;]{{8,}})"
-    named = rf"(?i)(?:{NAMES})[\"']?[:=]*$"
+    sign = r"(?::=|=>|[:=])"
+    value = rf"(?i)(?:{NAMES})[\"']?{sign}[\"']?([^\s\"',;]{{8,}})"
+    named, signed = rf"(?i)(?:{NAMES})[\"']?[:=]*$", rf"(?i)(?:{NAMES})[\"']?{sign}$"
+    # A value behind a name, or the name's sign and the value, that are words of their own.
+    bare, own = r"([^\s\"',;]{8,})", rf"^{sign}[\"']?([^\s\"',;]{{8,}})"
+
+    def places(w: Column, pattern: str) -> Column:
+        """The matches with the places where they end, from the text before and between them."""
+        whole = F.regexp_extract_all(w, F.lit(pattern), 0)
+        part = F.regexp_extract_all(w, F.lit(pattern), 1)
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<end:int,found:string>>").alias("all"))
+
+        def step(acc: Column, m: Column) -> Column:
+            end = F.call_function("locate", m["whole"], w, acc["next"]) + F.length(m["whole"])
+            return F.struct(end.alias("next"), F.concat(acc["all"], F.array(F.struct(end.alias("end"), m["part"].alias("found")))).alias("all"))
+
+        return F.aggregate(F.zip_with(whole, part, lambda x, y: F.struct(x.alias("whole"), y.alias("part"))), start, step)["all"]
 
     def parts(w: Column, i: Column) -> Column:
         # A value that follows a name and a sign as words of their own counts from 8 characters on.
-        sign, name = F.get("words", i - 1), F.get("words", i - 2)
-        apart = (sign.isin("=", ":", ":=") & name.rlike(named)) | sign.rlike(rf"(?i)(?:{NAMES})[\"']?(?:=|:|:=)$")
-        found = F.array_union(F.regexp_extract_all(w, F.lit(run), 1), F.regexp_extract_all(w, F.lit(value), 1))
-        found = F.when(F.coalesce(apart, F.lit(False)), F.array_union(found, F.regexp_extract_all(w, F.lit(r"([^\s\"',;]{8,})"), 1))).otherwise(found)
-        return F.struct(i.alias("word"), w.alias("part"), sign.alias("before"), name.alias("before2"), F.get("words", i + 1).alias("after"), found.alias("found"))
+        before, name = F.get("words", i - 1), F.get("words", i - 2)
+        apart = (before.isin("=", ":", ":=", "=>") & name.rlike(named)) | before.rlike(signed)
+        # Each occurrence once: the same text at the same place is one candidate, elsewhere another.
+        some = F.array_union(places(w, run), places(w, value))
+        some = F.when(F.coalesce(apart, F.lit(False)), F.array_union(some, places(w, bare))).otherwise(some)
+        some = F.when(F.coalesce(before.rlike(rf"(?i)(?:{NAMES})[\"']?$"), F.lit(False)), F.array_union(some, places(w, own))).otherwise(some)
+        found = F.transform(some, lambda s: s["found"])
+        return F.struct(i.alias("word"), w.alias("part"), before.alias("before"), name.alias("before2"), F.get("words", i + 1).alias("after"), found.alias("found"))
 
     some = F.filter(F.transform("words", parts), lambda s: F.size(s["found"]) > 0)
     rows = lines.select("id", "line", F.explode(some).alias("s"))
