@@ -182,6 +182,10 @@ def test_lines(spark):
     docs = table(spark, rows[:3])
     texts = {r.doc_id: r.text for r in linededup.cleaned(docs, linededup.removed(docs)).collect()}
     assert texts[1] == f"{line}\nunique one here\n" and texts[2] == "another thing"
+    odd = table(spark, [*rows[:2], rows[0], (2, f"{line}\nother", "en", "s")]).selectExpr("*", "lang as removed", "id as n_removed", "source as doc", "1 as `a.b`")
+    out = linededup.cleaned(odd, linededup.removed(odd))
+    assert out.columns == odd.columns and out.count() == 4 and all(r.removed == "en" and r.doc == "s" for r in out.collect())
+    assert sorted(r.text for r in out.collect()) == sorted([f"{line}\nunique one here\n"] * 2 + ["another thing", "other"])
     assert linededup.removed(docs.limit(0)).count() == 0
 
 
@@ -212,6 +216,29 @@ def test_lines_with_one_changed_word_are_found(spark):
     assert sum(got[i] for i in range(1, len(lines), 2)) >= 0.9 * len(lines) / 2
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_of_long_lines(spark):
+    rng = random.Random(13)
+    for _ in range(300):
+        a = "".join(rng.choices("abcé", k=rng.randrange(0, 30)))
+        b = "".join(rng.choices("abcé", k=rng.randrange(0, 30))) if rng.random() < 0.5 else "".join(c for c in a if rng.random() < 0.8)
+        assert linededup.edits(a, b) == plain_edits(a, b), (a, b)
+    long = words(rng, 9000)
+    near = " ".join(w if rng.random() < 0.99 else "changed" for w in long.split())
+    rows = [(1, long, "en", "s"), (2, near, "en", "s"), (3, words(rng, 9000), "en", "s")]
+    assert len(long) > 10 * linededup.LONG
+    got = {r.doc_id: list(r.removed) for r in linededup.removed(table(spark, rows)).collect()}
+    assert got == {1: [], 2: [0], 3: []}
+
+
 def test_pigeonhole_keys(spark):
     rng = random.Random(4)
     a = rng.getrandbits(64)
@@ -281,6 +308,70 @@ def test_near_duplicates(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def weighted_jaccard(texts, width=5):
+    """All pairs by plain loops, with the operator's weights."""
+    sets = []
+    docs = [words_of(t) for t in texts]
+    grams = [[tuple(w[i : i + width]) for i in range(len(w) - width + 1)] or [tuple(w)] for w in docs]
+    share = {}
+    for g in grams:
+        for x in set(g):
+            share[x] = share.get(x, 0) + 1 / len(texts)
+    for g in grams:
+        times = {x: g.count(x) for x in g} if len(set(g)) < len(g) else dict.fromkeys(g, 1)
+        sets.append({x: (1 + math.log(n)) * (0.75 + 0.25 * math.log(max(share[x], 2**-12)) / math.log(2**-12)) for x, n in times.items()})
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+            yield i, j, both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(16)
+    texts = []
+    for group, edits in ((150, 3), (60, 5), (40, 8), (30, 1)):
+        base = words(rng, 150).split()
+        for _ in range(group):
+            w = list(base)
+            for i in rng.sample(range(150), rng.randrange(edits + 1)):
+                w[i] = f"w{rng.random()}"
+            texts.append(" ".join(w))
+    passage = words(rng, 90)
+    texts += [passage + " " + words(rng, rng.randrange(10, 60)) for _ in range(40)] + [words(rng, 100) for _ in range(30)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(i, j) for i, j, s in weighted_jaccard(texts) if s >= 0.8 + 1e-6]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert found >= 0.99 * len(pairs), (found, len(pairs))
+    close = {(i, j) for i, j, s in weighted_jaccard(texts) if 0.8 - 1e-3 < s < 0.8 + 1e-6}  # sketched frequencies may differ a little
+    if not close:
+        assert all(find(i) == find(got[i]) for i in got)  # and nothing else is
+
+
+def test_near_duplicates_keep_one_row(spark):
+    rng = random.Random(17)
+    text = words(rng, 60)
+    rows = [(5, text, "en", "s"), (5, text, "en", "s"), (6, text + " end", "en", "s"), (None, words(rng, 50), "en", "s"), (7, words(rng, 40), "en", "s"), *ODD]
+    got = neardup.classes(table(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r.kept is not None for r in got)
+    assert sorted(r.kept for r in got if r.doc_id == 5) == [False, True] and [r.kept for r in got if r.doc_id == 6] == [False]
+    assert [r.kept for r in got if r.doc_id == 7] == [True] and all(r.kept for r in got if r.doc_id is None) and [r.kept for r in got if r.doc_id == 901] == [True]
+    docs = table(spark, rows).selectExpr("*", "doc_id as _id", "text as _digest", "lang as digest", "id as node", "1 as doubtful", "size as `row.x`")
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert all(r._id == r.doc_id and r._digest == r.text and r.digest == r.lang for r in kept.collect())
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 300).astype(np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,36 +32,70 @@ def crc32_mod(key: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n, F.lit(-1))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder named by spark.checkpoint.dir and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors see: the one that spark.checkpoint.dir names.
 
-    Only where neither the session nor its context names a folder (as in tests on one machine), a
-    temporary one is set.
+    Only on one machine, and only where neither session nor context names one (as in tests), it is a
+    temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tideline-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables of one operator, written below the shared folder and removed together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._count = spark, 0
+        self._folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """df as written; its lineage, statistics and constraints start anew there."""
+        self._count += 1
+        path = f"{self._folder}/{self._count}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the tables; nothing may read them any more."""
+        remove(self._spark, self._folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bitmap(numbers: DataFrame, bits: int = 25) -> np.ndarray:
-    """2^bits places as 64-bit words, with those of the low bits of a column of longs set.
+    """2^bits places as bytes, with those of the low bits of a column of longs set.
 
-    Its size does not depend on the rows; it lets a pass over a table leave out most of what no other
-    table asks for, before anything is shuffled.
+    Its size (4 MB) does not depend on the rows; it lets a pass over a table leave out most of what no
+    other table asks for, before anything is shuffled. It decides about cost alone: the more of it is
+    set, the more rows take part in the shuffle.
     """
-    low = numbers[numbers.columns[0]].bitwiseAND(F.lit((1 << bits) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
-    words = numbers.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(bit).alias("m")).toPandas()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    low = numbers[numbers.columns[0]].bitwiseAND(F.lit((1 << bits) - 1)) + 1  # Spark's buckets count from 1
+    parts = numbers.groupBy(F.call_function("bitmap_bucket_number", low).alias("w")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", low)).alias("m")).collect()  # 2^10 blocks at most
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts:
+        block = np.frombuffer(bytes(r.m), np.uint8)
+        out[(r.w - 1) * len(block) : r.w * len(block)] = block
     return out
 
 
 def in_bitmap(have: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    at = numbers & (64 * len(have) - 1)
-    return (have[at >> 6] >> (at & 63)) & 1 == 1
+    at = numbers & (8 * len(have) - 1)
+    return (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def chunks(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
