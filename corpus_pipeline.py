@@ -7,14 +7,13 @@ function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last k
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontaminate, mixing, neardup, quality, sharding
-from tideline.llm.common import table
+from tideline.llm.common import remove, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,13 +56,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Stages are written below the session's checkpoint folder, which all executors share."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Stages are written below the session's checkpoint folder, which all executors share.
+
+    A stage's table is removed once the next one is written; the last stays, as the result reads it.
+    Null and empty texts, repeated rows, null ids and empty tables are what the stages' operators say
+    of them; extra columns of `documents` are kept by all but the last stage.
+    """
+    folder, last = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{i}-{name}")
+            if last:
+                remove(spark, last)
+            last = f"{folder}/{i}-{name}"
     return docs
