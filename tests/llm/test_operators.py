@@ -58,6 +58,23 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert hits / (20 * len(got)) >= 0.95
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4)).round(2)
+    rows = [(i, x[i].tolist()) for i in range(60)] + [(0, x[0].tolist())] * 2 + [(20, x[5].tolist()), (70, [1.0, 2.0]), (80, [2.0, 1.0]), (90, [0.5, 0.5])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20, shard_rows=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+
+    def want(i):
+        s = sorted((-round(float(np.dot(rows[i][1], v)), 9), n) for j, (n, v) in enumerate(rows) if j != i and len(v) == len(rows[i][1]))[:20]
+        return [(k, n, -p) for k, (p, n) in enumerate(s, 1)]
+
+    assert sorted(got[0]) == want(0) and len([r for r in want(0) if r[1] == 0]) == 2  # asked once, though stored three times
+    assert sorted(got[20]) == sorted(want(20) + want(62))  # two queries of one id
+    assert sorted(got[80]) == want(64) and len(got[80]) == 2
+
+
 def test_neighbours_few_and_empty(spark):
     _, df = vectors(spark, 5, 4, 0)
     assert ann.search(df.where("vec_id < 3 or vec_id is null"), F.col("vec_id") == 0, k=20).count() == 2

@@ -2,9 +2,11 @@
 
 Vectors are dealt into shards by a hash of their ids. A shard's graph is kept as flat neighbour
 arrays: `links[level]` is a matrix (nodes of the level x degree) of node numbers, -1 where there are
-fewer. Levels thin out by a factor of `degree`. Within a level each node's candidates are its nearest
-nodes, found exactly in blocks (shards are of bounded size), of which those are linked that are
-nearer to the node than to any neighbour linked before; links go both ways, the nearest first.
+fewer. Levels thin out by a factor of `degree`, and a level holds all nodes of those above it. Nodes
+are inserted in blocks in a random order: a block descends from the top level, searches the graph so
+far for its nearest nodes, and is compared within itself; of these candidates those are linked that
+are nearer to the node than to any neighbour linked before. Links go both ways; a node keeps its
+nearest ones.
 
 Inner products are searched among vectors of any length: the graph is built on vectors lengthened by
 one component to a common norm, where the nearest by angle are those with the largest products.
@@ -14,10 +16,11 @@ scored anew in double precision, and the shards' best are merged.
 Equal vectors of a shard are one node with the smallest `k + 1` of their ids, which is all that a
 list of the k nearest other rows can show of them; so copies never crowd out the graph.
 
-Defined results: vectors that are null, zero or hold null or non-finite components, or whose
-dimension is not the commonest, take no part; rows with null ids neither; repeated rows are
-candidates each, but never of a query with their id; with fewer candidates than k all are returned;
-an empty table gives an empty result; extra columns are ignored.
+Defined results: vectors that are null, zero or hold null or non-finite components take no part; rows
+with null ids neither; vectors of each dimension are searched among themselves; rows of the same id
+and vector are one query, for which all but one of them are candidates, and so are rows of the same id
+with other vectors, which are queries of their own; with fewer candidates than k all are returned; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,15 +54,40 @@ class Graph:
         y = np.hstack([x, rest[:, None]]).astype(np.float32)
         y /= max(float(np.sqrt(sq.max(initial=0))), 1e-30)
         order = np.random.default_rng(seed).permutation(len(x))
-        members, links, n = [], [], len(x)
-        while True:
-            here = np.sort(order[:n])
-            members.append(here)
-            links.append(here[m] if (m := _linked(y[here], 2 * degree if not links else degree, pool)).size else m)
-            links[-1][m < 0] = -1
-            if n <= 2 * degree:
-                return Graph(x.astype(np.float32), members, links)
-            n = max(1, n // degree)
+        sizes = [len(x)]
+        while sizes[-1] > 2 * degree:
+            sizes.append(max(1, sizes[-1] // degree))
+        above = Graph(y, [], [])  # levels from the top; searched on the lengthened vectors
+        for level, n in reversed(list(enumerate(sizes))):
+            here = order[:n]
+            links = above._grown(here, degree if level else 2 * degree, pool, sizes[level + 1] if level + 1 < len(sizes) else 0)
+            above.members.insert(0, here)
+            above.links.insert(0, links)
+        return Graph(x.astype(np.float32), above.members, above.links)
+
+    def _grown(self, here: np.ndarray, degree: int, pool: int, known: int, block: int = 1024) -> np.ndarray:
+        """Links of the nodes `here` in the order of their insertion, the first `known` of which are the level above."""
+        y, n = self.nodes, len(here)
+        links = np.full((n, degree), -1)
+        row = np.full(len(y) + 1, -1, np.int64)
+        done = min(n, max(2 * degree, 1))
+        row[here[:done]] = np.arange(done)
+        near, _ = _nearest(y[here[:done]], pool)
+        _link(y, here, row, links, np.arange(done), here[near] if near.size else np.full((done, 0), -1))
+        while done < n:
+            end = min(n, done + min(done, block))
+            new = here[done:end]
+            start = self.search(y[new], 8)[0] if self.links else np.broadcast_to(here[None, :1], (len(new), 1))
+            start = np.where((start >= 0) & (row[start] >= 0), start, -1)  # of the level above, those that are already here
+            start = np.concatenate([start, np.broadcast_to(here[None, :4], (len(new), min(4, done)))], 1)
+            found, score = self._walk(y[new], _once(start), links, row, pool)
+            near, close = _nearest(y[new], pool)
+            row[new] = np.arange(done, end)
+            both, scores = np.concatenate([found, new[near]], 1), np.concatenate([score, close], 1)
+            at = np.argsort(-scores, 1, kind="stable")[:, :pool]
+            _link(y, here, row, links, np.arange(done, end), np.take_along_axis(both, at, 1))
+            done = end
+        return links
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Node numbers (-1: none) and products of the `beam` best nodes for each query, best first."""
@@ -110,41 +138,53 @@ class Graph:
         return np.where(found == none, -1, found), score
 
 
-def _linked(y: np.ndarray, degree: int, pool: int) -> np.ndarray:
-    """For each row of unit vectors at most `degree` neighbours: a diverse choice among its nearest, and links back."""
-    n = len(y)
-    if n < 2:
-        return np.full((n, degree), -1)
-    pool = min(pool, n - 1)
-    near = np.empty((n, pool), np.int64)
-    for a in range(0, n, 512):
-        p = y[a : a + 512] @ y.T
-        p[np.arange(len(p)), np.arange(a, a + len(p))] = -np.inf
-        part = np.argpartition(-p, pool - 1, 1)[:, :pool]
-        near[a : a + 512] = np.take_along_axis(part, np.argsort(-np.take_along_axis(p, part, 1), 1, kind="stable"), 1)
-    chosen = np.zeros((n, pool), bool)
-    for a in range(0, n, 1024):
-        z = y[near[a : a + 1024]]
-        own = np.einsum("nd,npd->np", y[a : a + 1024], z)
-        among = np.einsum("npd,nqd->npq", z, z)
-        pick = chosen[a : a + 1024]
+def _once(entry: np.ndarray) -> np.ndarray:
+    """Each row's node numbers once; -1 in place of the others."""
+    entry = np.sort(entry, 1)
+    entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = -1
+    return entry
+
+
+def _nearest(y: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block the numbers and products of its `pool` nearest other rows, the nearest first."""
+    pool = min(pool, len(y) - 1)
+    p = y @ y.T
+    np.fill_diagonal(p, -np.inf)
+    at = np.argpartition(-p, pool - 1, 1)[:, :pool] if pool > 0 else np.zeros((len(y), 0), np.int64)
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(p, at, 1), 1, kind="stable"), 1)
+    return at, np.take_along_axis(p, at, 1)
+
+
+def _link(y: np.ndarray, here: np.ndarray, row: np.ndarray, links: np.ndarray, rows: np.ndarray, near: np.ndarray) -> None:
+    """Link the nodes in `rows` to a diverse choice of their candidates `near` (-1: none), the nearest first, and back."""
+    degree, pool = links.shape[1], near.shape[1]
+    if not pool:
+        return
+    chosen = np.zeros(near.shape, bool)
+    for a in range(0, len(rows), 512):
+        z = y[near[a : a + 512]]
+        own = np.einsum("nd,npd->np", y[here[rows[a : a + 512]]], z)
+        among = np.matmul(z, z.transpose(0, 2, 1))
+        pick, there = chosen[a : a + 512], near[a : a + 512] >= 0
         for i in range(pool):
-            pick[:, i] = ~((among[:, i, :i] > own[:, i, None]) & pick[:, :i]).any(1) & (pick.sum(1) < degree)
+            pick[:, i] = there[:, i] & ~((among[:, i, :i] > own[:, i, None]) & pick[:, :i]).any(1) & (pick.sum(1) < degree)
     # Fill up with the nearest that were left out, so that dense places stay reachable.
     for i in range(pool):
-        chosen[:, i] |= chosen.sum(1) < degree // 2
-    src = np.repeat(np.arange(n), chosen.sum(1))
-    dst = near[chosen]
-    pairs = np.unique(np.concatenate([src * n + dst, dst * n + src]))
-    src, dst = pairs // n, pairs % n
-    close = np.concatenate([np.einsum("nd,nd->n", y[src[a : a + 65536]], y[dst[a : a + 65536]]) for a in range(0, len(src), 65536)])
+        chosen[:, i] |= (near[:, i] >= 0) & (chosen.sum(1) < degree // 2)
+    i, j = np.nonzero(chosen)
+    src, dst = rows[i], row[near[i, j]]
+    touched = np.unique(np.concatenate([src, dst]))
+    old_src, old = np.nonzero(links[touched] >= 0)
+    old_dst = row[links[touched][old_src, old]]
+    pairs = np.unique(np.concatenate([src * len(here) + dst, dst * len(here) + src, touched[old_src] * len(here) + old_dst]))
+    src, dst = pairs // len(here), pairs % len(here)
+    close = np.concatenate([np.einsum("nd,nd->n", y[here[src[a : a + 65536]]], y[here[dst[a : a + 65536]]]) for a in range(0, len(src), 65536)])
     order = np.lexsort((-close, src))
     src, dst = src[order], dst[order]
     place = np.arange(len(src)) - np.searchsorted(src, src)
-    out = np.full((n, degree), -1)
     ok = place < degree
-    out[src[ok], place[ok]] = dst[ok]
-    return out
+    links[touched] = -1
+    links[src[ok], place[ok]] = here[dst[ok]]
 
 
 def search(vectors: DataFrame, query: Column, *, k: int = 20, beam: int = 128, degree: int = 16, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS, block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -153,29 +193,28 @@ def search(vectors: DataFrame, query: Column, *, k: int = 20, beam: int = 128, d
     Every row is in a graph and every query meets every shard, in blocks; queries are shuffled, not
     broadcast, as their number may grow with the table.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     good = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.where(good)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim, n = (sizes[0].d, sizes[0].n) if sizes else (0, 0)
-    rows = rows.where(F.size("v") == dim)
-    shards = max(least_shards, -(-n // shard_rows))
-    base = rows.select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), "id", "v")
-    asked = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
+    rows = rows.where(good).withColumn("d", F.size("v"))
+    shards = F.greatest(F.lit(least_shards), F.ceil(F.count("*") / shard_rows)).cast("int")
+    rows = rows.join(rows.groupBy("d").agg(shards.alias("shards")), "d")  # a row for each dimension
+    place = lambda shard: (F.col("d").cast("long") * (1 << 32) + shard).alias("place")  # noqa: E731  a shard of a dimension
+    base = rows.select(place(F.pmod(F.xxhash64("id", "v"), "shards")), "id", "v")
+    asked = rows.where("q").dropDuplicates(["id", "v"]).select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = asked.select(place(F.col("shard")), F.col("id").alias("id"), F.col("v").alias("v"), F.xxhash64("v").alias("query"))
 
     def meet(key: tuple[int], own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        names = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+        names = {"query_id": "int64", "query": "int64", "vec_id": "int64", "score": "float64"}
         if not len(own) or not len(ask):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in names.items()})
         own, ask = own.sort_values("id", kind="stable"), ask.sort_values("id", kind="stable")
         x, ids = np.array(own["v"].tolist()), own["id"].to_numpy()
-        _, first, node = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * dim}").ravel(), return_index=True, return_inverse=True)
+        _, first, node = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
         by = np.argsort(node, kind="stable")  # ids ascend within a node
-        place = np.arange(len(by)) - np.searchsorted(node[by], node[by])
-        by, place = by[place <= k], place[place <= k]
+        by = by[np.arange(len(by)) - np.searchsorted(node[by], node[by]) <= k]
         start = np.searchsorted(node[by], np.arange(len(first) + 1))
         graph = Graph.build(x[first], degree)
-        q, q_ids = np.array(ask["v"].tolist()), ask["id"].to_numpy()
+        q, q_ids, number = np.array(ask["v"].tolist()), ask["id"].to_numpy(), ask["query"].to_numpy()
         out = []
         for a in range(0, len(q), block):
             found, _ = graph.search(q[a : a + block], max(beam, k + 1))
@@ -185,14 +224,15 @@ def search(vectors: DataFrame, query: Column, *, k: int = 20, beam: int = 128, d
             row, pos = np.repeat(row, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[hit], times)
             cand = by[pos]
             score = np.einsum("nd,nd->n", q[a : a + block][row], x[cand])
-            ok = ids[cand] != q_ids[a + row]
-            row, cand, score = row[ok], cand[ok], score[ok]
             order = np.lexsort((ids[cand], -score, row))
             row, cand, score = row[order], cand[order], score[order]
+            own_row = (ids[cand] == q_ids[a + row]) & (x[cand] == q[a + row]).all(1)
+            own_row[1:] &= ~((row[1:] == row[:-1]) & own_row[:-1])  # of repeated rows, which lie side by side, one is the query's own
+            row, cand, score = row[~own_row], cand[~own_row], score[~own_row]
             ok = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pd.DataFrame({"query_id": q_ids[a + row[ok]], "vec_id": ids[cand[ok]], "score": score[ok]}))
+            out.append(pd.DataFrame({"query_id": q_ids[a + row[ok]], "query": number[a + row[ok]], "vec_id": ids[cand[ok]], "score": score[ok]}))
         return pd.concat(out)
 
-    found = base.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = base.groupBy("place").cogroup(asked.groupBy("place")).applyInPandas(meet, "query_id long, query long, vec_id long, score double")
+    best = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
