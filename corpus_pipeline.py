@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, mixing, neardup, quality, sharding
 from tideline.llm.common import remove, shared_folder, table
@@ -29,8 +30,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than 5 % are in windows of benchmark items."""
-    return decontaminate.drop(docs, decontaminate.build(table(spark, sf_dir, "benchmark")))
+    """Documents of whose words less than 5 % are in windows of benchmark items, without these windows."""
+    rows = decontaminate.clean(docs, decontaminate.build(table(spark, sf_dir, "benchmark")))
+    if "n_chars" in docs.columns:  # the cut texts are shorter
+        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return rows
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
