@@ -142,10 +142,37 @@ def test_decontamination(spark, max_words):
         bad += hit > 0 and 20 * hit >= n
     assert decontaminate.drop(docs, automata).count() == len(rows) - bad
     assert decontaminate.drop(docs, automata).columns == docs.columns
+    half = spark.createDataFrame([(1, "p q r " * 200 + items[11][1] + " tail", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, spans string")
+    cut = {r.doc_id: r.text for r in decontaminate.clean(half, automata, length=len(words_of(items[11][1])) if len(words_of(items[11][1])) < 13 else 13, coverage=0.2).collect()}
+    assert cut[2] is None and cut[3] == "" and words_of(cut[1])[:600] == words_of("p q r " * 200) and len(words_of(cut[1])) < 600 + len(words_of(items[11][1]))
+    assert decontaminate.clean(half, automata).columns == half.columns
     assert decontaminate.mark(docs, decontaminate.build(bench.limit(0))).where("size(spans) > 0").count() == 0
     assert decontaminate.mark(docs.limit(0), automata).count() == 0
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(21)
+    big = words(rng, 40_000)
+    w = big.split()
+    item = " ".join(w[20_000:20_030])
+    rows = [(1, big, "en", "s"), (2, " ".join([*w[:30_000], "changed", *w[30_001:]]), "en", "s"), (3, words(rng, 30), "en", "s")]
+    docs = table(spark, rows)
+    automata = decontaminate.build(spark.createDataFrame([("i", item)], "item_id string, text string"))
+    got = {r.doc_id: r for r in decontaminate.mark(docs, automata).collect()}
+    assert got[1].n_words == len(words_of(big)) and [(s["from"], s["to"]) for s in got[1].spans][:1] == [(20_000, 20_030)]
+    kept = {r.doc_id: r.text for r in decontaminate.clean(docs, automata).collect()}
+    assert len(words_of(kept[1])) <= len(words_of(big)) - 30 and kept[3] == rows[2][1]
+    near = {r.doc_id: (r.class_id, r.kept) for r in neardup.classes(docs).collect()}
+    assert near == {1: (1, True), 2: (1, False), 3: (3, True)}
+    assert sum(r.size for r in sharding.shard(docs).collect()) == sum(len(r[1].encode()) + 1 for r in rows)
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()}[1] == len(big.split())
+    assert quality.score(docs, quality.train(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))).count() == 3
+    model = tokencount.Unigram({c: -1.0 for c in "abcdefghijklmnopqrstuvwxyz▁"})
+    assert {r.doc_id: r.n_tokens for r in tokencount.count(docs, model).collect()}[1] == len(big) + 1
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert secrets.candidates(table(spark, [(1, f"{big} token={key}", "en", "s")])).count() >= 1
+
+
 def test_spans_are_cut_out():
     assert decontaminate.without_spans("Ab, cd ef! gh", [(1, 3)]) == "Ab, ! gh"
 

@@ -11,7 +11,8 @@ benchmark gets several, through which the rows pass one behind the other, withou
 Defined results: null texts have no words and no hits; items that are null or without words hold no
 window; an item with a null id hits words but is not listed; items with equal ids count once; repeated
 rows are judged each; an empty benchmark or table gives no hits or an empty result; extra columns
-are ignored by `mark` and kept by `drop`.
+are ignored by `mark` and kept by `drop` and `clean`. `drop` removes rows past the limit of coverage,
+`clean` also cuts spans past the limit of length out of the rows that stay.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import WORD_TABLE, words_of
 
 WINDOW = 13
 #: Item words in one automaton; it has at most twice as many states, each a small dict.
@@ -221,13 +223,26 @@ def drop(docs: DataFrame, automata: list[Broadcast], *, text_col: str = "text",
     return mark(whole, automata, id_col="row").where((hit == 0) | (hit < coverage * F.col("n_words"))).select("row.*")
 
 
+def clean(docs: DataFrame, automata: list[Broadcast], *, text_col: str = "text", coverage: float = 0.05, length: int = WINDOW) -> DataFrame:
+    """The rows that `drop` keeps, with all their columns; spans of at least `length` words are cut out of their texts."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    kept = mark(whole, automata, id_col="row").where((hit == 0) | (hit < coverage * F.col("n_words")))
+    long = F.filter("spans", lambda s: s["to"] - s["from"] >= length)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, first: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, list(zip(x, y))) if len(x) else t for t, x, y in zip(text, first, end)])
+
+    kept = kept.select("row", cut(F.col("row").getField(text_col), F.transform(long, lambda s: s["from"]), F.transform(long, lambda s: s["to"])).alias("cut"))
+    return kept.select(*[F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def without_spans(text: str, spans: Spans) -> str:
     """The text without its hit words and what stands between them within a span."""
     if not spans:
         return text
     raw = text.encode()
-    from .common import WORD_TABLE
-
     plain, at, places = raw.translate(WORD_TABLE), 0, []
     for w in plain.split():
         at = plain.index(w, at)

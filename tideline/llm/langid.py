@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-Each language has a Bloom filter of its typical n-grams. The filters share their hash functions and
+Each language has a Bloom filter of the n-grams that it contains. The filters share their hash functions and
 are stored bit-sliced: slot p holds a mask with one bit for each language, so the AND of an n-gram's
 k slots is the set of *all* languages whose filter has it. For a text, the set bits are counted per
 language; with n looked-up n-grams and a filter's false-positive rate f, c = (hits - n f) / (1 - f)
@@ -144,13 +144,13 @@ def _places(h: np.ndarray, bits: int, k: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int32) for i in range(k)]
 
 
-def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2000, min_share: float = 1e-4, dominance: float = 0.5, bits: int = 17) -> LangFilter:
+def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 2000, min_share: float = 1e-4, bits: int = 18) -> LangFilter:
     """Learn a LangFilter from labelled rows.
 
     About `train_docs` rows of each language (all, if fewer) are used, chosen by a hash of the id. A
-    language's filter takes the n-grams with at least `min_share` of its n-grams of their order (so
-    at most 1 / min_share of each order come to the driver) whose share is at least `dominance` of
-    the largest share in any language.
+    language contains the n-grams with at least `min_share` of its n-grams of their order, so at most
+    1 / min_share of each order come to the driver; its filter takes all of these, whatever other
+    languages contain.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (usable if usable is not None else F.lit(True)).alias("use")).where("use and lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -192,8 +192,6 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
     total = counted.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     shared = counted.join(F.broadcast(total), ["lang", "n"]).withColumn("share", F.col("times") / F.col("total"))  # one row for each language and order
     typical = shared.where(F.col("share") >= min_share).select("lang", "n", "gram", "share").toPandas()
-    top = typical.groupby(["n", "gram"])["share"].transform("max")
-    typical = typical[typical["share"] >= dominance * top]
     return LangFilter.build(langs, [typical.loc[typical["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in langs], bits)
 
 
