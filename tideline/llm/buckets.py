@@ -23,7 +23,7 @@ from .common import Tables
 
 #: Pairs for each member, on average, up to which all that are left are put to the bounds at once.
 PAIRS = 64
-#: From pairs (a, b) of nodes those that are similar.
+#: From pairs (a, b) of nodes the same with a column `similar`.
 Similar = Callable[[DataFrame], DataFrame]
 #: From nodes (node) rows (node, token, before, rest, total), see `linked`.
 Refine = Callable[[DataFrame], DataFrame]
@@ -36,24 +36,23 @@ def components(edges: DataFrame, table: Tables) -> DataFrame:
     roots, so components shrink geometrically and edges within them vanish.
     """
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    labels = table(ends.distinct().withColumn("root", F.col("node")))
+    labels = ends.distinct().withColumn("root", F.col("node"))
     links = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x != y")
-    while True:
+    while not links.isEmpty():
         both = links.union(links.select("y", "x"))
         hook = table(both.groupBy("x").agg(F.min("y").alias("y")).where("y < x"))
-        if hook.isEmpty():
-            return labels
         while True:  # pointer jumping
             on = hook.alias("h").join(hook.alias("g"), F.col("h.y") == F.col("g.x"), "left")
             new = table(on.select(F.col("h.x").alias("x"), F.coalesce("g.y", "h.y").alias("y"), F.col("g.y").isNotNull().alias("moved")))
             hook = new.select("x", "y")
             if new.where("moved").isEmpty():
                 break
-        labels = table(labels.join(hook, labels["root"] == hook["x"], "left").select("node", F.coalesce("y", "root").alias("root")))
+        labels = labels.join(hook, labels["root"] == hook["x"], "left").select("node", F.coalesce("y", "root").alias("root"))
         for end in ("x", "y"):
             h = hook.select(F.col("x").alias("from"), F.col("y").alias("to"))
             links = links.join(h, links[end] == h["from"], "left").withColumn(end, F.coalesce("to", end)).drop("from", "to")
         links = table(links.where("x != y").distinct())
+    return table(labels)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, col: str, name: str) -> DataFrame:
@@ -86,14 +85,14 @@ def linked(members: DataFrame, table: Tables, prepare: Callable[[DataFrame], tup
     star = table(star.select("key", "node", "mark", "rank", "lead", near(F.col("mark"), F.col("lead.mark")).alias("near")))
 
     best = star.where("near").groupBy("node").agg(F.min("lead").alias("lead"))
-    tried = table(best.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
-    edges = table(similar(tried))
-    roots = components(edges, table)
+    tried = table(similar(best.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))))
+    roots = components(tried.where("similar"), table)
     led = star.where("near").select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    led = table(_rooted(_rooted(led, roots, "a", "_a"), roots, "b", "_b").where("_a != _b").select("a", "b"))
-    if not led.isEmpty():
-        tried, edges = tried.union(led), table(edges.union(similar(led)))
-        roots = components(edges, table)
+    led = _rooted(_rooted(led, roots, "a", "_a"), roots, "b", "_b").where("_a != _b").select("a", "b")
+    led = table(similar(led))
+    tried = tried.union(led)
+    if not led.where("similar").isEmpty():
+        roots = components(tried.where("similar"), table)
 
     rest = _rooted(star.select("key", "node", "mark", "rank"), roots, "node", "root")
     several = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
@@ -103,7 +102,9 @@ def linked(members: DataFrame, table: Tables, prepare: Callable[[DataFrame], tup
     groups = ["root"]
     if refine:
         tokens = table(refine(rest.select("node").distinct()))
-        rest = rest.join(tokens, "node").withColumn("key", F.xxhash64("key", "token")).drop("token")
+        keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        rest = rest.withColumnRenamed("key", "own").join(tokens, "node").join(keys, "node")
+        rest = rest.withColumn("key", F.xxhash64("own", "token")).drop("token")
         rest = rest.withColumn("prev", F.coalesce(F.try_element_at("before", F.lit(-1)), F.lit(0)))
         groups.append("prev")
     while True:
@@ -125,12 +126,14 @@ def linked(members: DataFrame, table: Tables, prepare: Callable[[DataFrame], tup
             met = met.where(F.col(c) != F.col(f"{c}_y"))
         if refine:
             enough = F.least("rest", "rest_y") >= least / (1 + least) * (F.col("total") + F.col("total_y")) - 1e-9
-            met = met.where(enough & ~F.arrays_overlap("before", "before_y"))
+            first = F.array_min(F.array_intersect("keys", "keys_y")) == F.col("own")  # nodes with several common keys meet under one
+            met = met.where(enough & ~F.arrays_overlap("before", "before_y") & first)
         pairs = met.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = table(pairs.join(known, ["a", "b"], "left_anti"))
-        tried, edges = tried.union(pairs), table(edges.union(similar(pairs)))
-        roots = components(edges, table)
+        pairs = table(similar(pairs.join(known, ["a", "b"], "left_anti")))
+        tried = tried.union(pairs)
+        if not pairs.where("similar").isEmpty():
+            roots = components(tried.where("similar"), table)
         if last:
             return roots
         rest = table(_rooted(rest.drop("root"), roots, "node", "root"))
