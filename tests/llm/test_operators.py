@@ -466,6 +466,21 @@ def test_targets_spill_over():
     assert t == [98.0, 3.0, 0.0]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_fit_of_what_the_proportional_share_leaves_is_exact(seed):
+    rng = np.random.default_rng(100 + seed)
+    lengths = np.sort(rng.choice(np.arange(1, 40), 4, replace=False))
+    counts = rng.integers(1, 6, 4)
+    budget = int(rng.integers(0, lengths @ counts))
+    take = mixing.fit(lengths, counts, budget)
+    share = counts * budget // int(lengths @ counts)
+    sums = {int(lengths @ share)}
+    for n, c in zip(lengths, counts - share):
+        sums = {s + int(n) * k for s in sums for k in range(c + 1)}
+    assert (take >= share).all() and (take <= counts).all()
+    assert abs(int(lengths @ take) - budget) == min(abs(s - budget) for s in sums)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fit_is_as_near_as_any_subset(seed):
     rng = np.random.default_rng(seed)

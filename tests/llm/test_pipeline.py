@@ -51,6 +51,30 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(shards)
 
 
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    rng = random.Random(2)
+    docs = [(i, words(rng, 40), "en", "a", 1, "r", "d", "n", 2.0) for i in range(40)]
+    docs += [(100, None, "en", None, 0, "r", "d", "n", 2.0), (101, "", None, "a", 0, "r", "d", "n", 2.0), (None, words(rng, 30), "en", "a", 0, "r", "d", "n", None), docs[3], docs[3]]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, node string, score double"
+    labels = [(i, 1, 0) for i in range(40)] + [(None, 1, 0), (101, None, None)]
+    for name, keep in (("odd", len(docs)), ("none", 0)):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs[:keep], kind).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels[:keep], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([("i", words(rng, 20)), (None, None)][:keep], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+        rows = spark.read.parquet(f"{d}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, rows, d)
+            assert out.columns == rows.columns and [x.dataType for x in out.schema] == [x.dataType for x in rows.schema]
+            out.write.parquet(f"{d}/stage{i}")
+            rows = spark.read.parquet(f"{d}/stage{i}")
+            if name == "odd" and i == 1:
+                assert sorted(r.doc_id for r in rows.collect() if r.doc_id is not None and r.doc_id < 100) == list(range(40))  # of repeated rows one stays
+                assert all(r.row == "r" and r.digest == "d" and r.node == "n" for r in rows.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, d).count() == rows.count()
+        assert (rows.count() > 30) == (name == "odd")
+
+
 def test_registry():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.QUERIES)
     assert numbers == list(range(1, 11)) and [len(corpus_pipeline.STAGES)] == [5]
