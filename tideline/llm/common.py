@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,13 @@ def in_bitmap(have: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def chunks(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of consecutive items that together hold at most `most` units, or a single larger item."""
     start, held, i = 0, 0, -1
